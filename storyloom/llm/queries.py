@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import load
-from . import components
+from . import components, setjoin
 
 QUERIES: dict = {}
 
@@ -20,3 +22,14 @@ def _links(spark, d):
 @query
 def p1_found(spark, d):
     return components.group_records(_links(spark, d)).filter("members > 1").select("kind", "record_id", "group_id")
+
+
+@query
+def p6_found(spark, d):
+    clusters = load(spark, d, "story_clusters")
+    out = None
+    for field in ("themes", "mention_identifiers", "distinct_mention_sources"):
+        pairs = setjoin.similar_pairs(clusters.select("cluster_id", field), "cluster_id", field, 0.7)
+        pairs = pairs.select(F.lit(field).alias("field"), F.col("record_a").alias("cluster_id_a"), F.col("record_b").alias("cluster_id_b"))
+        out = pairs if out is None else out.union(pairs)
+    return out

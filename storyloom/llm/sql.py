@@ -1,3 +1,16 @@
 """DuckDB SQL of those queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["p6_found"] = """
+WITH v AS (
+  SELECT 'themes' AS field, cluster_id, unnest(themes) AS v FROM story_clusters
+  UNION ALL SELECT 'mention_identifiers', cluster_id, unnest(mention_identifiers) FROM story_clusters
+  UNION ALL SELECT 'distinct_mention_sources', cluster_id, unnest(distinct_mention_sources) FROM story_clusters),
+s AS (SELECT DISTINCT field, cluster_id, lower(trim(v)) AS v FROM v WHERE trim(v) <> ''),
+n AS (SELECT field, cluster_id, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT a.field, a.cluster_id AS ca, b.cluster_id AS cb, count(*) AS o FROM s a JOIN s b ON a.field = b.field AND a.v = b.v AND a.cluster_id < b.cluster_id GROUP BY ALL)
+SELECT o.field, ca AS cluster_id_a, cb AS cluster_id_b FROM o
+JOIN n x ON x.field = o.field AND x.cluster_id = ca JOIN n y ON y.field = o.field AND y.cluster_id = cb
+WHERE o * 10 >= (x.n + y.n - o) * 7
+"""
