@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import components, setjoin
+from . import bpe, components, setjoin
 
 QUERIES: dict = {}
 
@@ -33,3 +33,8 @@ def p6_found(spark, d):
         pairs = pairs.select(F.lit(field).alias("field"), F.col("record_a").alias("cluster_id_a"), F.col("record_b").alias("cluster_id_b"))
         out = pairs if out is None else out.union(pairs)
     return out
+
+
+@query
+def p8_ids(spark, d):
+    return bpe.encode_corpus(load(spark, d, "documents"))
