@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import bpe, components, setjoin
+from . import bpe, components, mixing, setjoin
 
 QUERIES: dict = {}
 
@@ -38,3 +38,13 @@ def p6_found(spark, d):
 @query
 def p8_ids(spark, d):
     return bpe.encode_corpus(load(spark, d, "documents"))
+
+
+@query
+def p9_mixture(spark, d):
+    return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).sequence()
+
+
+@query
+def p9_shares(spark, d):
+    return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).shares()
