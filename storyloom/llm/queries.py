@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import bpe, components, mixing, setjoin
+from . import bpe, components, language, mixing, setjoin
 
 QUERIES: dict = {}
 
@@ -48,3 +48,13 @@ def p9_mixture(spark, d):
 @query
 def p9_shares(spark, d):
     return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).shares()
+
+
+@query
+def p10_found(spark, d):
+    return language.wrong_labels(load(spark, d, "documents"))
+
+
+@query
+def p10_languages(spark, d):
+    return language.classify(load(spark, d, "documents"))
