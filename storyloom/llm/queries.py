@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import bpe, components, language, mixing, setjoin
+from . import boilerplate, bpe, components, language, mixing, residue, setjoin
 
 QUERIES: dict = {}
 
@@ -58,3 +58,17 @@ def p10_found(spark, d):
 @query
 def p10_languages(spark, d):
     return language.classify(load(spark, d, "documents"))
+
+
+def _pages(spark, d):
+    return load(spark, d, "article_html_payloads"), load(spark, d, "extracted_article_payloads")
+
+
+@query
+def p3_found(spark, d):
+    return residue.residue_pages(*_pages(spark, d))
+
+
+@query
+def p5_found(spark, d):
+    return boilerplate.boilerplate_paragraphs(*_pages(spark, d))
