@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import load
-from . import boilerplate, bpe, components, language, mixing, residue, setjoin
+from ..runtime import durable, load
+from . import boilerplate, bpe, components, language, mixing, neardup, residue, setjoin
 
 QUERIES: dict = {}
 
@@ -72,3 +72,14 @@ def p3_found(spark, d):
 @query
 def p5_found(spark, d):
     return boilerplate.boilerplate_paragraphs(*_pages(spark, d))
+
+
+@query
+def p4_found(spark, d):
+    pages, extracted = _pages(spark, d)
+    models = residue.fit(residue.sample_contents(extracted))
+    gone = durable(residue.residue_pages(pages, extracted, models))
+    around = durable(boilerplate.boilerplate_paragraphs(pages, extracted, models))
+    same = neardup.similar_pages(extracted, gone, around).select(F.lit("page").alias("kind"), "record_a", "record_b")
+    urls = neardup.same_article_urls(load(spark, d, "gdelt_events")).select(F.lit("url"), "record_a", "record_b")
+    return same.union(urls).toDF("kind", "key_a", "key_b")
