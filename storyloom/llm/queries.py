@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import durable, load
-from . import boilerplate, bpe, components, language, mixing, neardup, residue, setjoin
+from . import boilerplate, bpe, components, language, mixing, names, neardup, residue, setjoin
 
 QUERIES: dict = {}
 
@@ -83,3 +83,8 @@ def p4_found(spark, d):
     same = neardup.similar_pages(extracted, gone, around).select(F.lit("page").alias("kind"), "record_a", "record_b")
     urls = neardup.same_article_urls(load(spark, d, "gdelt_events")).select(F.lit("url"), "record_a", "record_b")
     return same.union(urls).toDF("kind", "key_a", "key_b")
+
+
+@query
+def p2_found(spark, d):
+    return names.variant_pairs(names.entity_names(*(load(spark, d, t) for t in ("story_clusters", "root_clusters", "gdelt_events"))))
