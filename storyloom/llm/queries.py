@@ -79,7 +79,7 @@ def p4_found(spark, d):
     pages, extracted = _pages(spark, d)
     models = residue.fit(residue.sample_contents(extracted))
     gone = durable(residue.residue_pages(pages, extracted, models))
-    around = durable(boilerplate.boilerplate_paragraphs(pages, extracted, models))
+    around = durable(boilerplate.boilerplate_paragraphs(pages, extracted, models, spare_residue=False))
     same = neardup.similar_pages(extracted, gone, around).select(F.lit("page").alias("kind"), "record_a", "record_b")
     urls = neardup.same_article_urls(load(spark, d, "gdelt_events")).select(F.lit("url"), "record_a", "record_b")
     return same.union(urls).toDF("kind", "key_a", "key_b")
