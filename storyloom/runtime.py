@@ -67,3 +67,8 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", s
     left = many.withColumn("__salt", (F.rand(7) * salts).cast("int"))
     right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, marked for broadcast only if it has at most ``rows`` rows (for narrow rows: a few MB), which is counted here."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
