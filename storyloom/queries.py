@@ -49,3 +49,6 @@ def p7_found(spark, d):
 )
 def p7_event_profile(spark, d):
     return skew.per_key_profile(load(spark, d, "gdelt_events"), "source_url", "num_articles").withColumnRenamed("key", "source_url")
+
+
+from . import query_pipeline, query_search  # noqa: E402,F401
