@@ -71,6 +71,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, int]], str]:
                     away -= n in ("nav", "ul", "ol", "footer", "aside")
                     if n == name:
                         break
+    if buffer is not None:
+        buffer.append(page[pos:])
+    elif not away:
+        rest.append(page[pos:])
     close()
     return out, clean(" ".join(rest))
 
