@@ -14,3 +14,12 @@ SELECT o.field, ca AS cluster_id_a, cb AS cluster_id_b FROM o
 JOIN n x ON x.field = o.field AND x.cluster_id = ca JOIN n y ON y.field = o.field AND y.cluster_id = cb
 WHERE o * 10 >= (x.n + y.n - o) * 7
 """
+
+SQL["p1_found"] = """
+WITH RECURSIVE v AS (
+  SELECT 'component' AS kind, component_id AS record_id, CAST(CAST(trim(event_id) AS HUGEINT) AS VARCHAR) AS value FROM cluster_component_events WHERE regexp_full_match(trim(event_id), '[+-]?[0-9]{1,30}')
+  UNION SELECT 'story', cluster_id, lower(trim(x)) FROM (SELECT cluster_id, unnest(mention_identifiers) AS x FROM story_clusters) WHERE trim(x) <> ''),
+e AS (SELECT DISTINCT a.kind, a.record_id AS x, b.record_id AS y FROM v a JOIN v b ON a.kind = b.kind AND a.value = b.value),
+reach(kind, a, b) AS (SELECT kind, x, y FROM e UNION SELECT r.kind, r.a, e.y FROM reach r JOIN e ON e.kind = r.kind AND e.x = r.b)
+SELECT kind, a AS record_id, min(b) AS group_id FROM reach GROUP BY 1, 2 HAVING count(*) > 1
+"""
