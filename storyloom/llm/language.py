@@ -55,23 +55,25 @@ def plain(line: str) -> str:
     return _OTHER.sub(" ", unicodedata.normalize("NFC", _LINK.sub(" ", line)).lower()).strip()
 
 
-def gram_rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, n-gram) of every n-gram present in the plain lines, each once; n-grams are hashed to ``BITS`` bits."""
+def line_grams(lines: list[str]) -> Iterator[np.ndarray]:
+    """The n-grams present in each plain line, each once, hashed to ``BITS`` bits. Hashes are made for all lines at once, one rolling pass an
+    n; an n-gram is kept where it occurs last."""
     if not lines:
-        return np.empty(0, "int64"), np.empty(0, "int64")
-    code = np.frombuffer(("\n " + " \n ".join(lines) + " \n").encode("utf-32-le"), "uint32").astype("uint64")
-    line = np.cumsum(code == 10) - 1
-    keys, h, ok = [], np.zeros(len(code), "uint64"), np.ones(len(code), bool)
+        return
+    code = np.frombuffer("".join(f" {x} " for x in lines).encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64")
+    ends = np.cumsum([len(x) + 2 for x in lines])
+    hashes, h = [], np.zeros(len(code), "uint64")
     for n in range(1, max(GRAMS) + 1):
-        m = len(code) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
-        ok = ok[:m] & (code[n - 1 :] != 10)
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        keys.append((line[:m][ok].astype("uint64") << np.uint64(BITS)) | (mixed[ok] >> np.uint64(64 - BITS)))
-    both = np.unique(np.concatenate(keys)).astype("int64")
-    return both >> BITS, both & ((1 << BITS) - 1)
+        h = h[: max(0, len(code) - n + 1)] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
+        hashes.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int64"))
+    last = np.zeros(1 << BITS, "int64")
+    start = 0
+    for end in ends.tolist():
+        g = np.concatenate([hashes[n][start : max(start, end - n)] for n in range(len(hashes))])
+        at = np.arange(len(g))
+        last[g] = at
+        yield g[last[g] == at]
+        start = end
 
 
 @dataclass
@@ -80,13 +82,10 @@ class Model:
     sharpness: float
 
     def scores(self, lines: list[str]) -> np.ndarray:
-        row, gram = gram_rows(lines)
-        size = np.maximum(np.bincount(row, minlength=len(lines)), 1)
         out = np.zeros((len(lines), len(LANGS)), "float32")
-        if len(row):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out[row[starts]] = np.add.reduceat(self.weights[gram], starts, axis=0)
-        return out / np.sqrt(size)[:, None]
+        for i, g in enumerate(line_grams(lines)):
+            out[i] = self.weights[g].sum(axis=0) / max(1, len(g)) ** 0.5
+        return out
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         z = self.sharpness * (scores - scores.max(axis=1, keepdims=True))
@@ -119,13 +118,11 @@ def _fit_once(lines: list[str], labels: list[str], seed: int, ridge: float) -> M
     rng = np.random.default_rng(seed)
     y = np.array([LANGS.index(x) for x in labels])
     marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:LANDMARKS] for k in range(len(LANGS))])
-    row, gram = gram_rows(lines)
-    size = np.maximum(np.bincount(row, minlength=len(lines)), 1)
-    starts = np.searchsorted(row, np.arange(len(lines) + 1))
+    grams = list(line_grams(lines))
     land = np.zeros((1 << BITS, len(marks)), "float32")
     for i, k in enumerate(marks):
-        land[gram[starts[k] : starts[k + 1]], i] = 1 / np.sqrt(size[k])
-    kernel = np.stack([land[gram[starts[i] : starts[i + 1]]].sum(axis=0) / np.sqrt(size[i]) for i in range(len(lines))])
+        land[grams[k], i] = 1 / max(1, len(grams[k])) ** 0.5
+    kernel = np.stack([land[g].sum(axis=0) / max(1, len(g)) ** 0.5 for g in grams])
     value, vector = np.linalg.eigh(kernel[marks].astype("float64"))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
