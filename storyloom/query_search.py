@@ -117,7 +117,7 @@ def parse_gkg(spark, d):
 
 @query("article_extract")
 def article_extract(spark, d):
-    return articles.extract_articles(load(spark, d, "article_html_payloads").select("page_id", "html"), lose_open=False)
+    return articles.extract_articles(load(spark, d, "article_html_payloads").select("page_id", "html"))
 
 
 @query("window_events", "SELECT global_event_id, date_added, source_url FROM gdelt_events WHERE date_added >= 20260210000000 AND date_added <= 20260212000000 AND source_url IS NOT NULL")
