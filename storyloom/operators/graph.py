@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +40,40 @@ def component_edges(events: DataFrame, mentions: DataFrame) -> DataFrame:
     return mention_nodes(mentions_of(mentions, events)).select(F.col("global_event_id").alias("event_id"), F.col("mention_identifier").alias("mention_url")).distinct()
 
 
-def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+#: Edges up to which one task finds the components by union-find; beyond it, stars alternate.
+ONE_TASK_EDGES = 500_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def star_components(edges: DataFrame, a: str, b: str, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, root) of every node of an undirected graph with long ids; the root is the least node of the component.
 
-    Alternates two kinds of star: each node's larger neighbours go to its least neighbour, then each node's smaller neighbours do. Every
+    A graph of at most ``one_task`` edges is settled by union-find in one bounded task. For a larger one, two kinds of star alternate: each node's larger neighbours go to its least neighbour, then each node's smaller neighbours do. Every
     round is one aggregation and one salted join, written to the shared folder, so hubs don't gather in a task and lost executors cost
     one round at most. Null ends and self loops are left out."""
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     nodes = edges.select(F.explode(F.array(a, b)).alias("node")).filter("node is not null").distinct()
     links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if links.limit(one_task + 1).count() <= one_task:
+        roots = links.coalesce(1).mapInArrow(_union_find, "node long, root long")
+        return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     while True:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -74,8 +74,9 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
 
 
 def columns_of(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Lines split at tabs, without quoting."""
-    return lines.withColumn("cols", F.split(column, "\t", -1))
+    """Lines split at tabs, without quoting. The split is generated as a row of its own, so that it is made once and not again for every
+    column that is read from it."""
+    return lines.select("*", F.explode(F.array(F.split(column, "\t", -1))).alias("cols"))
 
 
 def _value(at: int, kind) -> Column:
