@@ -53,8 +53,8 @@ def per_key_profile(df: DataFrame, key: str, value: str, quantiles: dict[str, fl
 def heavy_keys(df: DataFrame, key: str, share: float, weight: str | None = None) -> DataFrame:
     """(key, size): keys that hold at least ``share`` of all rows (or of the sum of ``weight``; null weights count as 0).
 
-    The total is over all rows, those with a null key included. Sizes come from one partially aggregated pass over weighted
-    values; an empty table or a total of 0 gives an empty result."""
+    The total is over all rows, those with a null key included. Sizes come from one partially aggregated pass: over
+    weighted values, or, without a weight, a plain count, which needs no compression; an empty table or a total of 0 gives an empty result."""
     if weight is None:
         sizes = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("size"))
     else:
