@@ -83,14 +83,17 @@ def connected_components(edges: DataFrame, max_edges: int = 1_000_000) -> DataFr
 
 
 def _settle(forest: DataFrame, parts: int) -> DataFrame:
+    """Rounds of local union-find and a pointer jump, until every child points to a root. A child may stand in several partitions with
+    other parents; the least of them is the one that is jumped to, which keeps all links, as each row moves up a chain that ends in the
+    same root. All children of a giant component have one parent, so the jump is a salted join."""
     while True:
         forest = durable(forest.repartition(parts, "node").mapInArrow(_forest, _FOREST))
         twice = forest.groupBy("node").count().filter("count > 1").limit(1).count()
-        parents = forest.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        parents = forest.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("up"))
         chained = forest.select("root").distinct().join(parents, "root", "left_semi").limit(1).count()
         if not twice and not chained:
             return forest
-        forest = forest.join(parents, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        forest = salted_join(forest, parents, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
 
 
 def group_records(links: DataFrame, max_edges: int = 1_000_000) -> DataFrame:

@@ -55,25 +55,43 @@ def plain(line: str) -> str:
     return _OTHER.sub(" ", unicodedata.normalize("NFC", _LINK.sub(" ", line)).lower()).strip()
 
 
-def line_grams(lines: list[str]) -> Iterator[np.ndarray]:
-    """The n-grams present in each plain line, each once, hashed to ``BITS`` bits. Hashes are made for all lines at once, one rolling pass an
-    n; an n-gram is kept where it occurs last."""
-    if not lines:
-        return
+#: Lines whose n-grams are told apart at a time.
+ROWS = 32
+
+
+def presence(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse presence matrix of plain lines, row by row: the hashed n-grams of all lines, each once a line, and where each line's begin.
+    Hashes are made for all lines at once, one rolling pass an n; an n-gram is kept where it occurs last in its line."""
     code = np.frombuffer("".join(f" {x} " for x in lines).encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64")
     ends = np.cumsum([len(x) + 2 for x in lines])
     hashes, h = [], np.zeros(len(code), "uint64")
     for n in range(1, max(GRAMS) + 1):
         h = h[: max(0, len(code) - n + 1)] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
-        hashes.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int64"))
-    last = np.zeros(1 << BITS, "int64")
-    start = 0
-    for end in ends.tolist():
-        g = np.concatenate([hashes[n][start : max(start, end - n)] for n in range(len(hashes))])
-        at = np.arange(len(g))
-        last[g] = at
-        yield g[last[g] == at]
-        start = end
+        hashes.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int32"))
+    last = np.zeros(ROWS << BITS, "int32")
+    grams, counts = [], []
+    for k in range(0, len(lines), ROWS):
+        stop = ends[k : k + ROWS]
+        start = np.concatenate([[ends[k - 1] if k else 0], stop[:-1]])
+        row = np.repeat(np.arange(len(stop), dtype="int32"), stop - start)
+        left = np.repeat(stop, stop - start) - np.arange(start[0], stop[-1])  # characters from here to the line's end
+        g = [h[start[0] : stop[-1]] for h in hashes]
+        fits = [left[: len(x)] > n for n, x in enumerate(g)]
+        rows = np.concatenate([row[: len(x)][ok] for x, ok in zip(g, fits)])
+        g = np.concatenate([x[ok] for x, ok in zip(g, fits)])
+        cell, at = (rows << BITS) | g, np.arange(len(g), dtype="int32")
+        last[cell] = at
+        kept = last[cell] == at
+        g, rows = g[kept], rows[kept]
+        grams.append(g[np.argsort(rows, kind="stable")])
+        counts.append(np.bincount(rows, minlength=len(stop)))
+    counts = np.concatenate(counts) if counts else np.zeros(0, "int64")
+    return np.concatenate(grams) if grams else np.zeros(0, "int32"), np.concatenate([[0], np.cumsum(counts)])
+
+
+def line_grams(lines: list[str]) -> list[np.ndarray]:
+    grams, at = presence(lines)
+    return np.split(grams, at[1:-1]) if lines else []
 
 
 @dataclass
@@ -82,9 +100,13 @@ class Model:
     sharpness: float
 
     def scores(self, lines: list[str]) -> np.ndarray:
+        """The product of the lines' normalised sparse presence matrix with the weights, in blocks of lines."""
+        grams, at = presence(lines)
         out = np.zeros((len(lines), len(LANGS)), "float32")
-        for i, g in enumerate(line_grams(lines)):
-            out[i] = self.weights[g].sum(axis=0) / max(1, len(g)) ** 0.5
+        for k in range(0, len(lines), 256):
+            e = min(len(lines), k + 256)
+            own = self.weights[grams[at[k] : at[e]]]
+            out[k:e] = np.add.reduceat(own, at[k:e] - at[k], axis=0) / np.sqrt(np.diff(at[k : e + 1]))[:, None]
         return out
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
@@ -118,7 +140,7 @@ def _fit_once(lines: list[str], labels: list[str], seed: int, ridge: float) -> M
     rng = np.random.default_rng(seed)
     y = np.array([LANGS.index(x) for x in labels])
     marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:LANDMARKS] for k in range(len(LANGS))])
-    grams = list(line_grams(lines))
+    grams = line_grams(lines)
     land = np.zeros((1 << BITS, len(marks)), "float32")
     for i, k in enumerate(marks):
         land[grams[k], i] = 1 / max(1, len(grams[k])) ** 0.5

@@ -4,40 +4,49 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..runtime import durable
 
-#: The most blocks that a schedule has; the block size grows with the corpus instead.
-MAX_BLOCKS = 20_000
-#: The least block, in tokens.
-LEAST_BLOCK = 2_048
+#: Tokens of a block, whatever the size of the corpus.
+BLOCK = 32_768
 
 
-def pfair(blocks: dict[str, int]) -> list[tuple[int, str, int]]:
-    """(slot, source, block) of all blocks. A source with n of N blocks has weight w = n / N; its block j is released at
+def pfair(blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) of all blocks, slot by slot. A source with n of N blocks has weight w = n / N; its block j is released at
     floor(j / w) and due at ceil((j + 1) / w). Each slot goes to the released block with the earliest deadline (ties: the heavier
-    source, then the name), which keeps every source within one block of its weight at every slot."""
+    source, then the name), which keeps every source within one block of its weight at every slot. What is held is one entry a source."""
     total = sum(blocks.values())
     release = lambda s, j: j * total // blocks[s]
     due = lambda s, j: -(-(j + 1) * total // blocks[s])
     later = [(0, s, 0) for s, n in blocks.items() if n]
     heapq.heapify(later)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
     for slot in range(total):
         while later and later[0][0] <= slot:
             _, s, j = heapq.heappop(later)
             heapq.heappush(ready, (due(s, j), -blocks[s], s, j))
         _, _, s, j = heapq.heappop(ready)
-        out.append((slot, s, j))
+        yield slot, s, j
         if j + 1 < blocks[s]:
             heapq.heappush(later, (release(s, j + 1), s, j + 1))
-    return out
+
+
+def _scheduled(blocks: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = pfair(blocks) if batch.num_rows else iter(())
+            while rows := list(islice(slots, 50_000)):
+                slot, source, block = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(source, pa.string()), pa.array(block, pa.int64())], ["slot", "source", "block_no"])
+
+    return run
 
 
 def source_key(column: str):
@@ -67,9 +76,9 @@ class Mixture:
 
     Documents whose source is null or has no target, and those without a token, are not used. Repeated rows of one doc_id are
     separate documents. The target table is small by nature (one row a source) and is read by the driver; of the documents only one
-    sum a source is."""
+    sum a source is. Blocks have ``block`` tokens whatever the size of the corpus; the schedule never comes to the driver."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame):
+    def __init__(self, docs: DataFrame, targets: DataFrame, block: int = BLOCK):
         spark = docs.sparkSession
         docs = docs.select("doc_id", source_key("source").alias("source"), "n_tokens").filter("n_tokens > 0 and source is not null")
         wanted = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
@@ -78,16 +87,15 @@ class Mixture:
         docs = docs.filter(F.col("source").isin([s for s, _, _ in rows]))
         sizes = {r.source: (r.n, r.docs) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()}
         self.quotas = plan_quotas({s: n for s, (n, _) in sizes.items()}, rows)
-        total = sum(q["quota"] for q in self.quotas)
-        self.block = max(LEAST_BLOCK, math.ceil(total / MAX_BLOCKS))
+        self.block = block
         for q in self.quotas:
             q["blocks"] = math.ceil(q["quota"] / self.block)
             q["passes"] = math.ceil(q["quota"] / q["available_tokens"]) if q["available_tokens"] else 0
         kind = "source string, target_share double, max_repeats int, available_tokens long, reachable_share double, quota long, blocks int, passes int"
         names = [x.split()[0] for x in kind.split(", ")]
         self.plan = spark.createDataFrame([tuple(q[n] for n in names) for q in self.quotas], kind)
-        schedule = T.StructType([T.StructField("slot", T.LongType()), T.StructField("source", T.StringType()), T.StructField("block_no", T.LongType())])
-        self.schedule = spark.createDataFrame(pfair({q["source"]: q["blocks"] for q in self.quotas}), schedule)
+        # the next slot depends on all before it, so one task streams the schedule out; it holds one entry a source
+        self.schedule = spark.range(0, 1, 1, 1).mapInArrow(_scheduled({q["source"]: q["blocks"] for q in self.quotas}), "slot long, source string, block_no long")
         most = max((n for _, n in sizes.values()), default=0)
         self.uses = self._placed(docs, max(1, math.ceil(most / 20_000)))
 

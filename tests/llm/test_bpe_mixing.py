@@ -37,7 +37,7 @@ def test_schedule_deviates_by_less_than_a_block():
     for _ in range(30):
         blocks = {f"s{i}": rng.randint(0, 40) for i in range(rng.randint(1, 9))}
         total = sum(blocks.values())
-        order = mixing.pfair(blocks)
+        order = list(mixing.pfair(blocks))
         assert [s for s, _, _ in order] == list(range(total))
         done = dict.fromkeys(blocks, 0)
         for slot, s, j in order:
@@ -45,7 +45,7 @@ def test_schedule_deviates_by_less_than_a_block():
             done[s] += 1
             for x, n in blocks.items():
                 assert abs(done[x] - (slot + 1) * n / total) < 1
-    assert mixing.pfair({}) == []
+    assert list(mixing.pfair({})) == []
 
 
 def test_quotas_hit_the_caps_exactly():
