@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,25 +49,51 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what follows neither recomputes it nor depends on the
     executors that made it. The written schema is given to the reader, so nothing is inferred."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/storyloom/{os.getpid()}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/storyloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete what ``durable`` wrote for this application. To be called when no result that rests on it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/storyloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))
 
 
+def _salt(df: DataFrame, salts) -> Column:
+    """A salt from what is in the row, so that a task that runs again gives each row the same one."""
+    return F.pmod(F.xxhash64(F.lit(7), *df.columns), salts).cast("int")
+
+
 def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join on ``key`` where one key may hold a large part of ``many``.
 
     Rows of ``many`` are spread over ``salts`` sub-keys and ``few`` (unique on ``key``) is repeated for each of them, so no
-    task gets more than 1/``salts`` of a hot key. ``how`` is inner or left (seen from ``many``)."""
-    left = many.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+    task gets more than about 1/``salts`` of a hot key (copies of one row stay together). ``how`` is inner or left (seen from ``many``)."""
+    left = many.withColumn("__salt", _salt(many, F.lit(salts)))
     right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def hot_join(a: DataFrame, b: DataFrame, key: str, most: int = 2_000) -> DataFrame:
+    """Inner equi-join of two tables in which one key may hold a large part of both, for instance of a table with itself.
+
+    Keys with more than ``most`` rows of ``a`` are counted out first; their rows fall into g blocks on either side, and each pair of blocks is
+    a sub-key of its own, so no task compares more than about ``most`` rows with as many. Rows of other keys are joined as they are."""
+    blocks = a.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__g"))
+    blocks = small_side(durable(blocks))
+
+    def spread(df: DataFrame, mine: str, other: str) -> DataFrame:
+        wide = df.join(blocks, key, "left").withColumn("__g", F.coalesce("__g", F.lit(1)))
+        return wide.withColumn(mine, _salt(df, F.col("__g"))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__g") - 1))).drop("__g")
+
+    return spread(a, "__i", "__j").join(spread(b, "__j", "__i"), [key, "__i", "__j"]).drop("__i", "__j")
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``rows`` rows (for narrow rows: a few MB), which is counted here."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

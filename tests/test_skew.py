@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+from storyloom.runtime import hot_join, salted_join
 from storyloom.operators import skew
 
 
@@ -40,3 +41,14 @@ def test_heavy_keys_by_rows_and_by_weight(spark):
     assert {r.key: r.size for r in skew.heavy_keys(df, "k", 0.5, "w").collect()} == {"b": 100}
     assert skew.heavy_keys(df.limit(0), "k", 0.1).count() == 0
     assert skew.heavy_keys(df.filter("k = 'c'"), "k", 0.1, "w").count() == 0
+
+
+def test_joins_of_hot_keys_give_the_pairs_of_plain_ones(spark):
+    rows = [(1, i) for i in range(60)] + [(2, i) for i in range(5)] + [(3, 1), (None, 4)]
+    a, b = spark.createDataFrame(rows, "k int, x int"), spark.createDataFrame(rows, "k int, y int")
+    want = sorted((k, x, y) for k, x in rows for j, y in rows if k == j and k is not None)
+    for most in (1, 7, 1_000):
+        assert sorted(tuple(r) for r in hot_join(a, b, "k", most).select("k", "x", "y").collect()) == want
+    few = spark.createDataFrame([(1, "a"), (3, "c")], "k int, z string")
+    assert salted_join(a, few, "k").count() == 61 and salted_join(a, few, "k", "left").count() == len(rows)
+    assert hot_join(a.limit(0), b, "k").count() == 0
