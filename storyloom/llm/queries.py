@@ -35,6 +35,13 @@ def p6_found(spark, d):
     return out
 
 
+@query
+def p6_story_roots(spark, d):
+    tables = [load(spark, d, t).select("cluster_id", "dominant_event_types") for t in ("story_clusters", "root_clusters")]
+    pairs = setjoin.similar_pairs_between(*tables, "cluster_id", "dominant_event_types", 0.5)
+    return pairs.select(F.col("record_a").alias("story_id"), F.col("record_b").alias("root_id"))
+
+
 @query
 def p8_ids(spark, d):
     return bpe.encode_corpus(load(spark, d, "documents"))

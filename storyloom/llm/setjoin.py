@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable, salted_join
+from ..runtime import durable, hot_join, salted_join
 
 #: Largest set that meets others through token subsets; beyond it their number grows too fast.
 SMALL = 8
@@ -28,9 +28,15 @@ def clean_value(c: Column | str) -> Column:
 
 
 def token_sets(df: DataFrame, record: str, values: str) -> DataFrame:
-    """(record_id, tokens): the distinct cleaned values of an array column as 64-bit hashes, null and blank left out."""
+    """(record_id, token): the distinct cleaned values of an array column as 64-bit hashes, null and blank left out. Hashes are checked for
+    clashes over all values and made anew with another seed if two values have one."""
     item = df.select(F.col(record).alias("record_id"), F.explode(values).alias("v")).withColumn("v", clean_value("v"))
-    return item.filter("record_id is not null and v <> ''").select("record_id", F.xxhash64("v").alias("token")).distinct()
+    item = durable(item.filter("record_id is not null and v <> ''").distinct())
+    for seed in range(4):
+        hashed = item.withColumn("token", F.xxhash64(F.lit(seed), "v"))
+        if hashed.groupBy("token").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").limit(1).count() == 0:
+            return hashed.select("record_id", "token")
+    raise RuntimeError("64-bit ids clash under four seeds")
 
 
 def bitmap(tokens: str, words: int = 4) -> Column:
@@ -50,8 +56,14 @@ def classes_of(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = items.groupBy("token").agg(F.count("*").alias("df"))
     ranked = salted_join(items, df, "token", salts=8)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
-    sets = durable(ranked.groupBy("record_id").agg(ordered.alias("tokens")).withColumn("cid", F.xxhash64("tokens")))
-    classes = sets.groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
+    lists = durable(ranked.groupBy("record_id").agg(ordered.alias("tokens")))
+    for seed in range(4):
+        sets = lists.withColumn("cid", F.xxhash64(F.lit(seed), "tokens"))
+        classes = sets.groupBy("cid").agg(F.min("tokens").alias("tokens"), F.max("tokens").alias("other"))
+        if classes.filter("tokens <> other").limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("64-bit ids clash under four seeds")
     return durable(classes.select("cid", F.size("tokens").alias("size"), "tokens", bitmap("tokens").alias("bits"))), sets.select("record_id", "cid")
 
 
@@ -97,19 +109,20 @@ def _subset_keys(small: int, t: float):
 
 
 def similar_classes(classes: DataFrame, t: float, small: int = SMALL) -> DataFrame:
-    """(cid_a, cid_b, overlap, union), cid_a < cid_b: pairs of different sets with a Jaccard similarity of at least ``t``."""
+    """(cid_a, cid_b, overlap, union), cid_a < cid_b: pairs of different sets with a Jaccard similarity of at least ``t``. A subset or a token
+    that very many sets share is joined in blocks (``hot_join``)."""
     small_sets, near = classes.filter(F.col("size") <= small), classes.filter(F.col("size") > small * t - 1e-9)
-    keys = small_sets.select("cid", "size", "tokens").mapInArrow(_subset_keys(small, t), "key long, cid long, size int")
+    keys = durable(small_sets.select("cid", "size", "tokens").mapInArrow(_subset_keys(small, t), "key long, cid long, size int"))
     a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "size"))) for s in "ab")
     fits = (F.col("size_a") >= F.col("size_b") * t - 1e-9) & (F.col("size_b") >= F.col("size_a") * t - 1e-9)
-    by_subset = a.join(b, "key").filter(fits & (F.col("cid_a") < F.col("cid_b"))).select("cid_a", "cid_b")
+    by_subset = hot_join(a, b, "key").filter(fits & (F.col("cid_a") < F.col("cid_b"))).select("cid_a", "cid_b")
     spare = F.col("size") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1
-    lists = near.select("cid", "size", "bits", F.posexplode(F.slice("tokens", 1, spare.cast("int"))).alias("pos", "token"))
+    lists = durable(near.select("cid", "size", "bits", F.posexplode(F.slice("tokens", 1, spare.cast("int"))).alias("pos", "token")))
     a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "size", "bits", "pos"))) for s in "ab")
     least = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(t / (1 + t)) - 1e-9)
     ahead = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     bound = F.col("size_a") + F.col("size_b") - differing_bits("bits_a", "bits_b") >= 2 * least
-    by_list = a.join(b, "token").filter(fits & (F.col("cid_a") < F.col("cid_b")) & (F.greatest("size_a", "size_b") > small) & (ahead >= least) & bound).select("cid_a", "cid_b")
+    by_list = hot_join(a, b, "token").filter(fits & (F.col("cid_a") < F.col("cid_b")) & (F.greatest("size_a", "size_b") > small) & (ahead >= least) & bound).select("cid_a", "cid_b")
     pairs = by_subset.union(by_list).distinct()
     toks = classes.select("cid", "tokens")
     both = pairs.join(toks.toDF("cid_a", "tokens_a"), "cid_a").join(toks.toDF("cid_b", "tokens_b"), "cid_b")
@@ -127,6 +140,20 @@ def similar_pairs(df: DataFrame, record: str, values: str, t: float = 0.7, small
     return expand_pairs(similar_classes(classes, t, small), members)
 
 
+def similar_pairs_between(left: DataFrame, right: DataFrame, record: str, values: str, t: float = 0.7, small: int = SMALL) -> DataFrame:
+    """(record_a, record_b), record_a of ``left`` and record_b of ``right``: all pairs of records of two tables whose value sets have a Jaccard
+    similarity of at least ``t``. Either table has the columns ``record`` and ``values``; the rest is as in ``similar_pairs``. Sets of both
+    tables are ranked and compared together, so a set that stands in both is one class."""
+    sided = left.select(F.struct(F.lit(0).alias("side"), F.col(record).cast("string").alias("id")).alias("r"), F.col(values).alias("v"), F.col(record).isNotNull().alias("known"))
+    sided = sided.union(right.select(F.struct(F.lit(1).alias("side"), F.col(record).cast("string").alias("id")), F.col(values), F.col(record).isNotNull()))
+    classes, members = classes_of(token_sets(sided.filter("known"), "r", "v"))
+    members = durable(members)
+    a, b = (members.filter(F.col("record_id.side") == k).select(F.col("record_id.id").alias(f"record_{x}"), F.col("cid").alias(f"cid_{x}")) for k, x in enumerate("ab"))
+    pairs = similar_classes(classes, t, small).select("cid_a", "cid_b")
+    both = pairs.union(pairs.select("cid_b", "cid_a")).union(classes.select("cid", "cid"))
+    return both.join(a, "cid_a").join(b, "cid_b").select("record_a", "record_b")
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All record pairs of similar classes and within classes. The result itself has these rows; nothing else is listed."""
     a, b = members.toDF("record_a", "cid_a"), members.toDF("record_b", "cid_b")

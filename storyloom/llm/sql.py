@@ -15,6 +15,14 @@ JOIN n x ON x.field = o.field AND x.cluster_id = ca JOIN n y ON y.field = o.fiel
 WHERE o * 10 >= (x.n + y.n - o) * 7
 """
 
+SQL["p6_story_roots"] = """
+WITH a AS (SELECT DISTINCT cluster_id, lower(trim(v)) AS v FROM (SELECT cluster_id, unnest(dominant_event_types) AS v FROM story_clusters) WHERE trim(v) <> ''),
+b AS (SELECT DISTINCT cluster_id, lower(trim(v)) AS v FROM (SELECT cluster_id, unnest(dominant_event_types) AS v FROM root_clusters) WHERE trim(v) <> ''),
+n AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY 1), m AS (SELECT cluster_id, count(*) AS m FROM b GROUP BY 1),
+o AS (SELECT a.cluster_id AS story_id, b.cluster_id AS root_id, count(*) AS o FROM a JOIN b ON a.v = b.v GROUP BY ALL)
+SELECT story_id, root_id FROM o JOIN n ON n.cluster_id = story_id JOIN m ON m.cluster_id = root_id WHERE o * 2 >= n + m - o
+"""
+
 SQL["p1_found"] = """
 WITH RECURSIVE v AS (
   SELECT 'component' AS kind, component_id AS record_id, CAST(CAST(trim(event_id) AS HUGEINT) AS VARCHAR) AS value FROM cluster_component_events WHERE regexp_full_match(trim(event_id), '[+-]?[0-9]{1,30}')

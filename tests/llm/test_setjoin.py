@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from storyloom import runtime
 from storyloom.llm import setjoin
 
 
@@ -33,3 +34,18 @@ def test_empty_table_and_extra_columns(spark):
     assert setjoin.similar_pairs(df, "id", "vals").count() == 0
     df = spark.createDataFrame([("a", ["x"], 1, 2), ("b", ["X"], 3, 4)], "id string, vals array<string>, tokens int, cid int")
     assert [tuple(r) for r in setjoin.similar_pairs(df, "id", "vals").collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("most", [3, 2_000])
+def test_pairs_between_tables_and_hot_tokens(spark, monkeypatch, most):
+    monkeypatch.setattr(setjoin, "hot_join", lambda a, b, key: runtime.hot_join(a, b, key, most))
+    rng = random.Random(9)
+    rows = [(f"r{k}", ["hot", *(f"t{v}" for v in rng.sample(range(9), rng.randint(0, 3))), *(f"u{v}" for v in rng.sample(range(30), rng.choice([0, 0, 9])))]) for k in range(70)] + [("none", None), (None, ["hot"]), ("blank", [" "])]
+    a, b = rows[:40] + rows[-3:], rows[35:]
+    frames = [spark.createDataFrame(x, "id string, vals array<string>").withColumn("side", setjoin.F.lit(1)) for x in (a, b)]
+    clean = lambda xs: {i: {v.strip().lower() for v in vs if v and v.strip()} for i, vs in xs if i is not None and vs}
+    x, y = clean(a), clean(b)
+    want = {(i, j) for i, s in x.items() for j, t in y.items() if s and t and len(s & t) >= 0.7 * len(s | t) - 1e-9}
+    got = [tuple(r) for r in setjoin.similar_pairs_between(*frames, "id", "vals", 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert setjoin.similar_pairs_between(frames[0], frames[1].limit(0), "id", "vals").count() == 0
