@@ -27,12 +27,12 @@ def p1_found(spark, d):
 @query
 def p6_found(spark, d):
     clusters = load(spark, d, "story_clusters")
-    out = None
+    sets = None
     for field in ("themes", "mention_identifiers", "distinct_mention_sources"):
-        pairs = setjoin.similar_pairs(clusters.select("cluster_id", field), "cluster_id", field, 0.7)
-        pairs = pairs.select(F.lit(field).alias("field"), F.col("record_a").alias("cluster_id_a"), F.col("record_b").alias("cluster_id_b"))
-        out = pairs if out is None else out.union(pairs)
-    return out
+        own = clusters.select(F.lit(field).alias("field"), F.struct(F.lit(field).alias("field"), "cluster_id").alias("record"), F.col(field).alias("items")).filter("cluster_id is not null")
+        sets = own if sets is None else sets.union(own)
+    pairs = setjoin.similar_pairs(sets, "record", "items", 0.7, kind="field")
+    return pairs.select("record_a.field", F.col("record_a.cluster_id").alias("cluster_id_a"), F.col("record_b.cluster_id").alias("cluster_id_b"))
 
 
 @query

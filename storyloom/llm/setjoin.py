@@ -27,14 +27,15 @@ def clean_value(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
-def token_sets(df: DataFrame, record: str, values: str) -> DataFrame:
-    """(record_id, token): the distinct cleaned values of an array column as 64-bit hashes, null and blank left out. Hashes are checked for
+def token_sets(df: DataFrame, record: str, values: str, kind: str | None = None) -> DataFrame:
+    """(record_id, token): the distinct cleaned values of an array column as 64-bit hashes, null and blank left out. Values of different
+    ``kind`` (a column) are different tokens, so sets of several columns can be compared in one go. Hashes are checked for
     clashes over all values and made anew with another seed if two values have one."""
-    item = df.select(F.col(record).alias("record_id"), F.explode(values).alias("v")).withColumn("v", clean_value("v"))
+    item = df.select(F.col(record).alias("record_id"), (F.col(kind) if kind else F.lit("")).alias("kind"), F.explode(values).alias("v")).withColumn("v", clean_value("v"))
     item = durable(item.filter("record_id is not null and v <> ''").distinct())
     for seed in range(4):
-        hashed = item.withColumn("token", F.xxhash64(F.lit(seed), "v"))
-        if hashed.groupBy("token").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").limit(1).count() == 0:
+        hashed = item.withColumn("token", F.xxhash64(F.lit(seed), "kind", "v"))
+        if hashed.groupBy("token").agg(F.min(F.struct("kind", "v")).alias("lo"), F.max(F.struct("kind", "v")).alias("hi")).filter("lo <> hi").limit(1).count() == 0:
             return hashed.select("record_id", "token")
     raise RuntimeError("64-bit ids clash under four seeds")
 
@@ -123,7 +124,7 @@ def similar_classes(classes: DataFrame, t: float, small: int = SMALL) -> DataFra
     ahead = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     bound = F.col("size_a") + F.col("size_b") - differing_bits("bits_a", "bits_b") >= 2 * least
     by_list = hot_join(a, b, "token").filter(fits & (F.col("cid_a") < F.col("cid_b")) & (F.greatest("size_a", "size_b") > small) & (ahead >= least) & bound).select("cid_a", "cid_b")
-    pairs = by_subset.union(by_list).distinct()
+    pairs = durable(by_subset.union(by_list).distinct())
     toks = classes.select("cid", "tokens")
     both = pairs.join(toks.toDF("cid_a", "tokens_a"), "cid_a").join(toks.toDF("cid_b", "tokens_b"), "cid_b")
     common = both.withColumn("overlap", F.size(F.array_intersect("tokens_a", "tokens_b")))
@@ -131,12 +132,13 @@ def similar_classes(classes: DataFrame, t: float, small: int = SMALL) -> DataFra
     return common.select("cid_a", "cid_b", "overlap", union.alias("union")).filter(F.col("overlap") >= F.col("union") * F.lit(t) - 1e-9)
 
 
-def similar_pairs(df: DataFrame, record: str, values: str, t: float = 0.7, small: int = SMALL) -> DataFrame:
+def similar_pairs(df: DataFrame, record: str, values: str, t: float = 0.7, small: int = SMALL, kind: str | None = None) -> DataFrame:
     """(record_a, record_b), record_a < record_b: all pairs of records whose value sets have a Jaccard similarity of at least ``t``.
 
     Values are compared trimmed and without case; null and blank ones, repeats, and records without a value make no pair. Equal
-    sets are compared once, as one class; their pairs are listed by joining the members."""
-    classes, members = classes_of(token_sets(df, record, values))
+    sets are compared once, as one class; their pairs are listed by joining the members. Records of different ``kind`` (a column) make no
+    pair."""
+    classes, members = classes_of(token_sets(df, record, values, kind))
     return expand_pairs(similar_classes(classes, t, small), members)
 
 
