@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,52 +41,48 @@ def component_edges(events: DataFrame, mentions: DataFrame) -> DataFrame:
     return mention_nodes(mentions_of(mentions, events)).select(F.col("global_event_id").alias("event_id"), F.col("mention_identifier").alias("mention_url")).distinct()
 
 
-#: Edges up to which one task finds the components by union-find; beyond it, stars alternate.
-ONE_TASK_EDGES = 500_000
-
-
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of a partition as stars: every node of it linked to the least node that it reaches there."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(up[x], up[y])
+        before = up.copy()
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        up = up[up]
+        if np.array_equal(up, before):
+            break
+    moved = up != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[up[moved]])], ["u", "v"])
 
 
-def star_components(edges: DataFrame, a: str, b: str, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node of an undirected graph with long ids; the root is the least node of the component.
 
-    A graph of at most ``one_task`` edges is settled by union-find in one bounded task. For a larger one, two kinds of star alternate: each node's larger neighbours go to its least neighbour, then each node's smaller neighbours do. Every
-    round is one aggregation and one salted join, written to the shared folder, so hubs don't gather in a task and lost executors cost
-    one round at most. Null ends and self loops are left out."""
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
+    Links are contracted to stars within each partition, which leaves fewer links than nodes there. Then two kinds of star alternate: each
+    node's larger neighbours go to its least neighbour, then each node's smaller neighbours do, until nothing moves. Every round is
+    one aggregation and one salted join, written to the shared folder, so hubs don't gather in a task and lost executors cost one round
+    at most. Null ends and self loops are left out; a graph of any size takes this way."""
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     nodes = edges.select(F.explode(F.array(a, b)).alias("node")).filter("node is not null").distinct()
-    links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if links.limit(one_task + 1).count() <= one_task:
-        roots = links.coalesce(1).mapInArrow(_union_find, "node long, root long")
-        return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contracted, "u long, v long").distinct())
     while True:
+        # settled: every node has one parent and no parent has one
+        parents = links.groupBy("u").agg(F.count("*").alias("n"))
+        open_ = parents.filter("n > 1").select("u").union(links.select("v").distinct().join(parents, F.col("v") == F.col("u"), "left_semi"))
+        if open_.limit(1).count() == 0:
+            break
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = durable(large)
+        large = durable(salted_join(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, "u")
-        moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        moved = durable(moved)
-        if links.count() == moved.count() and moved.exceptAll(links).limit(1).count() == 0:
-            break
-        links = moved
+        small = salted_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        links = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     return nodes.join(links.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -9,31 +9,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..runtime import durable
+from ..runtime import durable, hot_join, salted_join
 from ..settings import DEFAULTS, Settings
+from .graph import star_components
 
-#: Threshold-passing pairs that the replay takes (it is sequential by nature); beyond it the call fails rather than guesses.
-MOST_PAIRS = 2_000_000
+def _rarest_first(items: DataFrame) -> DataFrame:
+    """(cluster_id, v) with df, the clusters that hold the value, size, the cluster's values, and pos, the place of the value among them, rarest
+    first (ties by value)."""
+    df = items.groupBy("v").agg(F.count("*").alias("df"))
+    ranked = salted_join(items, df, "v").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    return ranked.select("cluster_id", F.size("vs").alias("size"), F.posexplode("vs").alias("pos", "x")).select("cluster_id", "size", "pos", "x.df", "x.v")
 
 
 def mention_pairs(clusters: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(a, b, overlap), a < b: clusters that share at least the minimum of distinct mention addresses."""
-    x = clusters.select("cluster_id", F.explode(F.array_distinct("mention_identifiers")).alias("v"))
-    a, b = x.toDF("a", "v"), x.toDF("b", "v")
-    return a.join(b, "v").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= s.mention_overlap_min)
+    """(a, b, overlap), a < b: clusters that share at least the minimum of distinct mention addresses.
+
+    Of the minimum of m shared addresses one at least is not among a cluster's m - 1 commonest, so clusters meet by all but those: an
+    address that very many clusters have brings none together unless it must. Overlaps are then counted over all addresses."""
+    items = durable(clusters.select("cluster_id", F.explode("mention_identifiers").alias("v")).filter("v is not null").distinct())
+    first = durable(_rarest_first(items).filter(F.col("pos") <= F.col("size") - s.mention_overlap_min).select("cluster_id", "v"))
+    pairs = durable(hot_join(first.toDF("a", "v"), first.toDF("b", "v"), "v").filter("a < b").select("a", "b").distinct())
+    sets = items.groupBy("cluster_id").agg(F.collect_list("v").alias("vs"))
+    both = pairs.join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("va", "vb")).cast("long").alias("overlap")).filter(F.col("overlap") >= s.mention_overlap_min)
 
 
 def theme_pairs(clusters: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(a, b, jaccard), a < b: clusters whose theme sets (cut to the first ``max_themes``) have a Jaccard similarity strictly above the
-    threshold. Candidates share a theme that at most max(2, floor(n * max_theme_df)) clusters have; the similarity counts all themes."""
+    threshold t. Candidates share a theme that at most max(2, floor(n * max_theme_df)) clusters have; the similarity counts all themes.
+
+    The rarest theme that a similar pair shares is among the first n - floor(t * n) themes, rarest first, of either one's n, and it is rare
+    itself if any shared theme is; so clusters meet by these alone."""
     n = clusters.count()
     most = max(2, int(n * s.max_theme_df))
     first = F.slice("themes", 1, s.max_themes) if s.max_themes else F.col("themes")
-    sets = clusters.select("cluster_id", F.array_distinct(F.coalesce(first, F.array().cast("array<string>"))).alias("set"))
-    x = sets.select("cluster_id", F.explode("set").alias("v"))
-    rare = x.groupBy("v").agg(F.count("*").alias("df")).filter(F.col("df") <= most).select("v")
-    x = x.join(rare, "v", "left_semi").select("cluster_id", "v")
-    pairs = x.toDF("a", "v").join(x.toDF("b", "v"), "v").filter("a < b").select("a", "b").distinct()
+    sets = durable(clusters.select("cluster_id", F.array_distinct(F.coalesce(first, F.array().cast("array<string>"))).alias("set")))
+    ranked = _rarest_first(sets.select("cluster_id", F.explode("set").alias("v")).filter("v is not null"))
+    reach = F.col("size") - F.floor(F.col("size") * s.jaccard_threshold)
+    x = durable(ranked.filter((F.col("df") <= most) & (F.col("pos") < reach)).select("cluster_id", "v"))
+    pairs = durable(hot_join(x.toDF("a", "v"), x.toDF("b", "v"), "v").filter("a < b").select("a", "b").distinct())
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     jac = F.size(F.array_intersect("set_a", "set_b")) / F.size(F.array_union("set_a", "set_b"))
     return both.select("a", "b", jac.alias("jaccard")).filter(F.col("jaccard") > s.jaccard_threshold)
@@ -61,11 +75,15 @@ def _day(v) -> datetime | None:
 class _Unions:
     """Union-find that keeps each union's date envelope, action types and evidence."""
 
-    def __init__(self, rows: list, s: Settings):
-        self.parent = {r.cluster_id: r.cluster_id for r in rows}
-        self.state = {r.cluster_id: [_day(r.event_date_ref_start), _day(r.event_date_ref_end), set(r.dominant_event_types or ()), []] for r in rows}
+    def __init__(self, s: Settings):
+        self.parent: dict[str, str] = {}
+        self.state: dict[str, list] = {}
         self.s = s
 
+    def add(self, cluster_id: str, start, end, types) -> None:
+        self.parent[cluster_id] = cluster_id
+        self.state[cluster_id] = [_day(start), _day(end), set(types or ()), []]
+
     def root(self, x: str) -> str:
         while self.parent[x] != x:
             self.parent[x] = x = self.parent[self.parent[x]]
@@ -89,21 +107,53 @@ class _Unions:
         self.state[keep] = [both(min, s0, s1), both(max, e0, e1), t0 | t1, (v0 + v1 + [seen])[: self.s.evidence]]
 
 
+_MOVED = "cluster_id string, root string, evidence array<struct<mention_overlap:int,jaccard:double,date_gap_days:int,shared_action_type:string>>"
+
+
+def _replayed(s: Settings):
+    """Unions of the groups of a partition, which stand one after the other: first a group's clusters, then its pairs in order. What is held is
+    one group's clusters; pairs stream by."""
+    import pyarrow as pa
+
+    kind = pa.schema([("cluster_id", pa.string()), ("root", pa.string()), ("evidence", pa.list_(pa.struct([("mention_overlap", pa.int32()), ("jaccard", pa.float64()), ("date_gap_days", pa.int32()), ("shared_action_type", pa.string())])))])
+
+    def told(unions: _Unions):
+        rows = [{"cluster_id": c, "root": r, "evidence": unions.state[r][3]} for c in unions.parent for r in [unions.root(c)]]
+        for k in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_pylist(rows[k : k + 20_000], kind)
+
+    def run(batches):
+        group, unions = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["group"] != group:
+                    if unions is not None:
+                        yield from told(unions)
+                    group, unions = r["group"], _Unions(s)
+                if r["kind"] < 0:
+                    unions.add(r["a"], r["start"], r["end"], r["types"])
+                else:
+                    unions.offer(r["a"], r["b"], r["overlap"], r["jaccard"])
+        if unions is not None:
+            yield from told(unions)
+
+    return run
+
+
 def merge_roots(clusters: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(cluster_id, root, evidence) of every cluster; the root is the least id of its union.
 
-    Only pairs that pass the thresholds and the clusters in them come to the driver, at most ``MOST_PAIRS`` pairs."""
-    spark = clusters.sparkSession
+    Unions never leave a connected group of pairs, so groups are replayed independently, each by one task that holds the clusters of the
+    group it is at and streams its pairs; nothing comes to the driver."""
     m = mention_pairs(clusters, s).select("a", "b", F.lit(0).alias("kind"), F.col("overlap").cast("int").alias("overlap"), F.lit(None).cast("double").alias("jaccard"))
     pairs = durable(m.union(theme_pairs(clusters, s).select("a", "b", F.lit(1), F.lit(None).cast("int"), "jaccard")))
-    if pairs.count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} similar pairs; raise the thresholds")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cluster_id")).distinct()
-    rows = clusters.join(ends, "cluster_id", "left_semi").select("cluster_id", "event_date_ref_start", "event_date_ref_end", "dominant_event_types").collect()
-    unions = _Unions(rows, s)
-    for p in pairs.orderBy("kind", "a", "b").collect():
-        unions.offer(p.a, p.b, p.overlap, p.jaccard)
-    moved = [(c, unions.root(c), unions.state[unions.root(c)][3]) for c in unions.parent]
-    kind = "cluster_id string, root string, evidence array<struct<mention_overlap:int,jaccard:double,date_gap_days:int,shared_action_type:string>>"
-    found = spark.createDataFrame(moved, kind)
+    coded = durable(pairs.withColumn("u", F.xxhash64("a")).withColumn("v", F.xxhash64("b")))
+    groups = durable(star_components(coded.select("u", "v"), "u", "v"))
+    ends = coded.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("cluster_id")), F.struct(F.col("v").alias("node"), F.col("b").alias("cluster_id")))).alias("x")).select("x.*").distinct()
+    empty = {"b": F.lit(None).cast("string"), "kind": F.lit(-1), "overlap": F.lit(None).cast("int"), "jaccard": F.lit(None).cast("double")}
+    own = clusters.select("cluster_id", F.col("event_date_ref_start").alias("start"), F.col("event_date_ref_end").alias("end"), F.col("dominant_event_types").alias("types"))
+    nodes = own.join(ends.join(groups, "node"), "cluster_id").select(F.col("root").alias("group"), F.col("cluster_id").alias("a"), *(c.alias(n) for n, c in empty.items()), "start", "end", "types")
+    links = salted_join(coded, groups.withColumnRenamed("node", "u"), "u").select(F.col("root").alias("group"), "a", "b", "kind", "overlap", "jaccard", F.lit(None).cast(own.schema["start"].dataType).alias("start"), F.lit(None).cast(own.schema["end"].dataType).alias("end"), F.lit(None).cast("array<string>").alias("types"))
+    ordered = nodes.union(links).repartition("group").sortWithinPartitions("group", "kind", "a", "b")
+    found = ordered.mapInArrow(_replayed(s), _MOVED)
     return clusters.select("cluster_id").join(found, "cluster_id", "left").withColumn("root", F.coalesce("root", "cluster_id"))

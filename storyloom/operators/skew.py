@@ -50,15 +50,15 @@ def per_key_profile(df: DataFrame, key: str, value: str, quantiles: dict[str, fl
     return totals.join(found, "key", "left").select("key", "n_rows", "n_values", "n_distinct", (-F.col("top.least")).alias("mode_value"), F.col("top.n").alias("mode_count"), *quantiles)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float, weight: str | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float, weight: str | None = None, value: str | None = None) -> DataFrame:
     """(key, size): keys that hold at least ``share`` of all rows (or of the sum of ``weight``; null weights count as 0).
 
-    The total is over all rows, those with a null key included. Sizes come from one partially aggregated pass: over
-    weighted values, or, without a weight, a plain count, which needs no compression; an empty table or a total of 0 gives an empty result."""
-    if weight is None:
-        sizes = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("size"))
-    else:
-        freq = df.groupBy(F.col(key).alias("key"), F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-        sizes = freq.groupBy("key").agg(F.sum(F.coalesce(F.col("w").cast("long"), F.lit(0)) * F.col("n")).alias("size"))
+    The total is over all rows, those with a null key included. Sizes come from value frequencies: rows are grouped by key and value (the
+    weight, or for row counts the column ``value``), which spreads a hot key over as many reducers as it has values, and the weighted
+    values give the size of the key. An empty table or a total of 0 gives an empty result."""
+    own = F.col(weight or value) if weight or value else F.lit(0)
+    freq = df.groupBy(F.col(key).alias("key"), own.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    held = F.coalesce(F.col("w").cast("long"), F.lit(0)) * F.col("n") if weight else F.col("n")
+    sizes = freq.groupBy("key").agg(F.sum(held).alias("size"))
     total = sizes.agg(F.sum("size").alias("total")).scalar()
     return sizes.filter(F.col("key").isNotNull() & (F.col("size") > 0) & (F.col("size") >= total * F.lit(share)))

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
     """,
 )
 def p7_found(spark, d):
-    rows = skew.heavy_keys(load(spark, d, "gdelt_events"), "source_url", 0.02)
+    rows = skew.heavy_keys(load(spark, d, "gdelt_events"), "source_url", 0.02, value="num_articles")
     events = skew.heavy_keys(load(spark, d, "root_clusters"), "source_url", 0.1, "event_count")
     return rows.select(F.lit("gdelt_events").alias("table_name"), F.col("key").alias("source_url")).union(events.select(F.lit("root_clusters"), "key"))
 

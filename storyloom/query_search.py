@@ -252,11 +252,11 @@ def insert_ignore_events(spark, d):
     return store.insert_ignore(table, batch, "global_event_id", ["date_added", "source_url"])
 
 
-@query("upsert_clusters", "SELECT coalesce(o.cluster_id, n.cluster_id) AS cluster_id, CASE WHEN n.cluster_id IS NOT NULL THEN n.event_count ELSE o.event_count END AS event_count, CASE WHEN o.cluster_id IS NOT NULL THEN o.enrichment_status ELSE n.enrichment_status END AS enrichment_status, o.article_title FROM (SELECT * FROM story_clusters WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT cluster_id, event_count + 1 AS event_count, 'pending' AS enrichment_status FROM story_clusters WHERE id % 2 = 0) n ON o.cluster_id = n.cluster_id")
+@query("upsert_clusters", "SELECT coalesce(o.cluster_id, n.cluster_id) AS cluster_id, CASE WHEN n.cluster_id IS NOT NULL THEN n.event_count ELSE o.event_count END AS event_count, CASE WHEN o.cluster_id IS NOT NULL THEN o.enrichment_status ELSE n.enrichment_status END AS enrichment_status, o.article_title FROM (SELECT * FROM story_clusters) o FULL OUTER JOIN (SELECT cluster_id, event_count + 1 AS event_count, 'pending' AS enrichment_status FROM story_clusters WHERE event_count > 5 UNION ALL SELECT cluster_id, event_count + 1, 'pending' FROM root_clusters) n ON o.cluster_id = n.cluster_id")
 def upsert_clusters(spark, d):
-    c = load(spark, d, "story_clusters").select("id", "cluster_id", "event_count", "enrichment_status", "article_title")
-    table = c.filter("id % 3 <> 0").drop("id")
-    batch = c.filter("id % 2 = 0").select("cluster_id", (F.col("event_count") + 1).alias("event_count"), F.lit("pending").alias("enrichment_status"))
+    table = load(spark, d, "story_clusters").select("cluster_id", "event_count", "enrichment_status", "article_title")
+    new = table.filter("event_count > 5").select("cluster_id", "event_count").union(load(spark, d, "root_clusters").select("cluster_id", "event_count"))
+    batch = new.select("cluster_id", (F.col("event_count") + 1).alias("event_count"), F.lit("pending").alias("enrichment_status"))
     return store.upsert(table, batch, "cluster_id", ["enrichment_status"])
 
 

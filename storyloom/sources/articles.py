@@ -36,8 +36,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "meta":
             a = {k: v for k, v in attrs}
-            if a.get("property") == "og:title" and a.get("content"):
-                self.og = self.og or a["content"]
+            if "og:title" in (a.get("property"), a.get("name")) and clean(a.get("content")):
+                self.og = a["content"]
         elif tag == "title":
             self.in_title = True
         elif tag == "p":
@@ -66,7 +66,7 @@ class _Reader(HTMLParser):
 
 
 def extract(page: str | None, lose_open: bool = True) -> tuple[str | None, str | None]:
-    """(title, content) of a page: og:title before title, paragraphs joined by a blank line; content is None if there is no paragraph."""
+    """(title, content) of a page: og:title (named by ``property`` or ``name``, the last that says something) before title, paragraphs joined by a blank line; content is None if there is no paragraph."""
     r = _Reader(lose_open)
     try:
         r.feed(page or "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -74,28 +75,28 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
 
 
 def columns_of(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Lines split at tabs, without quoting. The split is generated as a row of its own, so that it is made once and not again for every
-    column that is read from it."""
+    """Lines split at tabs, without quoting; ``cols`` is the row's fields. The split is generated as a row of its own, so that it is made once
+    and not again for every column that is read from it."""
     return lines.select("*", F.explode(F.array(F.split(column, "\t", -1))).alias("cols"))
 
 
-def _value(at: int, kind) -> Column:
-    c = F.try_element_at("cols", F.lit(at + 1))
-    if isinstance(kind, int):
-        return scalars.code(c, kind)
-    return scalars.blank_to_null(c) if kind == "string" else scalars.number(c, kind)
-
-
 def parse_rows(split: DataFrame, feed: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed rows of the events or mentions feed. A row is dropped if it is too short, lacks a required number, or has text where a number
-    belongs; blank fields are null, codes that are too long too."""
+    belongs; blank fields are null, codes that are too long too. The fields that are read are trimmed once and numbers cast once, as one
+    generated row; what could not be cast is told by the text beside it."""
     table = EVENT_COLUMNS if feed == "events" else MENTION_COLUMNS
-    bad = F.lit(False)
-    for _, at, kind in table:
-        if kind in ("int", "long", "double"):
-            bad = bad | F.coalesce(scalars.malformed(F.try_element_at("cols", F.lit(at + 1)), kind), F.lit(False))
-    rows = split.filter((F.size("cols") >= LEAST_COLUMNS[feed]) & ~bad).select(*keep, *(_value(at, kind).alias(name) for name, at, kind in table))
-    return rows.dropna(subset=list(REQUIRED[feed]))
+    rows = split.filter(F.size("cols") >= LEAST_COLUMNS[feed])
+    texts = F.transform(F.array(*(F.get("cols", F.lit(at)) for _, at, _ in table)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    rows = rows.select(*keep, F.explode(F.array(texts)).alias("t"))
+    text = {name: F.when(F.get("t", F.lit(i)) != "", F.get("t", F.lit(i))) for i, (name, _, _) in enumerate(table)}
+    numbers = [name for name, _, kind in table if kind in ("int", "long", "double")]
+    cast = F.struct(*(text[name].try_cast(kind).alias(name) for name, _, kind in table if name in numbers))
+    rows = rows.select(*keep, "t", F.explode(F.array(cast)).alias("n"))
+    bad = reduce(lambda a, b: a | b, (text[name].isNotNull() & F.col(f"n.{name}").isNull() for name in numbers))
+    codes = {name: F.upper(text[name]) for name, _, kind in table if isinstance(kind, int)}
+    value = lambda name, kind: F.col(f"n.{name}") if name in numbers else F.when(F.length(codes[name]) <= kind, codes[name]) if name in codes else text[name]
+    kept = reduce(lambda a, b: a & b, (F.col(f"n.{name}").isNotNull() for name in REQUIRED[feed]), ~bad)
+    return rows.filter(kept).select(*keep, *(value(name, kind).alias(name) for name, _, kind in table))
 
 
 def parse_documents(split: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
