@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import lookups, scalars
 from .operators import clusters as cl
-from .operators import graph, merge, reconcile
+from .operators import graph, merge, reconcile, store
 from .plans import pipeline
 from .queries import query
 from .query_search import SEVERITY_SQL
@@ -342,12 +342,55 @@ def dangling_links(spark, d):
     return reconcile.dangling(_anchored(spark, d), _t(spark, d, "story_clusters"), roots).select("component_id").distinct()
 
 
+def _payloads(spark, d):
+    """All clusters of both tables as the payloads of a run."""
+    both = None
+    for t in ("story_clusters", "root_clusters"):
+        x = _t(spark, d, t).select("cluster_id", "source_url", "event_ids", "themes", "computed_at", F.lit(t == "root_clusters").alias("is_root"), F.array("source_url").alias("component_source_urls"), F.lit(0).alias("gkg_doc_count"))
+        both = x if both is None else both.union(x)
+    return reconcile.payloads(both)
+
+
+def _persisted(spark, d):
+    """Components with the addresses of the clusters that hold their active events."""
+    m = _t(spark, d, "cluster_component_events").filter("is_active").select("component_id", "event_id").distinct()
+    at = _t(spark, d, "story_clusters").select(F.explode("event_ids").alias("event_id"), "source_url").distinct()
+    urls = m.join(at, "event_id").groupBy("component_id").agg(F.min("source_url").alias("anchor_source_url"), F.array_sort(F.collect_set("source_url")).alias("component_source_urls"))
+    return _cc(spark, d).join(urls, "component_id", "left")
+
+
+@query("reconcile_payloads", "SELECT cluster_id, table_name, len(list_distinct(coalesce(list_filter(event_ids, lambda x: x IS NOT NULL), []))) AS events, coalesce(len(themes), 0) > 0 AS has_gkg FROM (SELECT cluster_id, 'story_clusters' AS table_name, event_ids, themes FROM story_clusters UNION ALL SELECT cluster_id, 'root_clusters', event_ids, themes FROM root_clusters)")
+def reconcile_payloads(spark, d):
+    return _payloads(spark, d).select("cluster_id", "table_name", F.size(F.filter(F.coalesce("event_ids", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("events"), "has_gkg")
+
+
 @query("reconcile_run")
 def reconcile_run(spark, d):
-    s = _t(spark, d, "story_clusters").select("cluster_id", "source_url", "event_ids", F.lit("story_clusters").alias("table_name"))
-    m = _t(spark, d, "cluster_component_events").filter("component_id is not null")
-    c = _cc(spark, d).withColumns({"anchor_source_url": F.lit(None).cast("string"), "component_source_urls": F.lit(None).cast("array<string>")})
-    return reconcile.reconcile(s, c, m)
+    return reconcile.reconcile(_payloads(spark, d), _persisted(spark, d), _t(spark, d, "cluster_component_events").filter("component_id is not null"))
+
+
+@query("split_ranking", f"WITH {_OVER} SELECT component_id, cluster_id, row_number() OVER (PARTITION BY component_id ORDER BY historical_ratio DESC, overlap DESC, cluster_id) AS rank FROM ov WHERE overlap >= 2 AND historical_ratio >= 0.6")
+def split_ranking(spark, d):
+    return reconcile.split_candidates(_over(spark, d))
+
+
+@query("terminal_cleanup", f"WITH {_CC} SELECT (SELECT count(*) FROM cc WHERE NOT (n_active = 0 AND last_seen_at < TIMESTAMPTZ '2026-02-20 00:00:00+00')) AS components, (SELECT count(*) FROM cluster_component_events WHERE component_id IS NOT NULL AND component_id NOT IN (SELECT component_id FROM cc WHERE n_active = 0 AND last_seen_at < TIMESTAMPTZ '2026-02-20 00:00:00+00')) AS memberships")
+def terminal_cleanup(spark, d):
+    c = _cc(spark, d).withColumn("status", F.when(F.col("n_active") > 0, "active").otherwise("merged"))
+    kept, members = store.drop_terminal(c, _t(spark, d, "cluster_component_events").filter("component_id is not null"), "2026-02-20 00:00:00")
+    return kept.agg(F.count("*").alias("components")).join(F.broadcast(members.agg(F.count("*").alias("memberships"))))  # one row each
+
+
+@query("heal_links", f"WITH {_CC} SELECT cluster_id AS component_id, CASE WHEN event_count > 6000 THEN 'active' ELSE 'stale' END AS status, CASE WHEN event_count > 6000 THEN cluster_id END AS current_cluster_id FROM root_clusters")
+def heal_links(spark, d):
+    r = _anchored(spark, d)
+    broken = reconcile.dangling(r, _t(spark, d, "story_clusters"), _t(spark, d, "root_clusters").filter("event_count > 6000"))
+    return reconcile.heal(r, broken).select("component_id", "status", "current_cluster_id")
+
+
+@query("release_stale", "SELECT cluster_id, CASE WHEN enrichment_status = 'processing' AND enriched_at IS NULL AND computed_at < TIMESTAMPTZ '2026-04-01 00:00:00+00' - INTERVAL 15 MINUTE THEN 'pending' ELSE enrichment_status END AS enrichment_status FROM story_clusters")
+def release_stale(spark, d):
+    return store.release_stale(_t(spark, d, "story_clusters"), "2026-04-01 00:00:00").select("cluster_id", "enrichment_status")
 
 
 @query("cluster_pipeline")

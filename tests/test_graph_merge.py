@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 import pytest
@@ -128,7 +129,7 @@ def test_reconcile_growth_merge_split_and_new(spark):
     comps = comps.withColumn("anchor_source_url", F.concat("anchor_source_url", "component_id"))
     past = [("old", "1"), ("old", "2"), ("young", "3"), ("torn", "51"), ("torn", "52"), ("torn", "53"), ("torn", "54"), ("torn", "55"), ("torn", "56"), ("gone", "99")]
     mem = spark.createDataFrame(past, "component_id string, event_id string").withColumn("is_active", F.lit(True))
-    now = spark.createDataFrame([("c1", "s", ["1", "2", "3", "4"], "story_clusters"), ("c2", "s", ["51", "52", "53"], "story_clusters"), ("c3", "s", ["54", "55", "56"], "story_clusters"), ("c4", "https://anchor/gone", ["7"], "root_clusters")], "cluster_id string, source_url string, event_ids array<string>, table_name string")
+    now = spark.createDataFrame([("c1", "s", ["1", "2", "3", "4"], "story_clusters"), ("c2", "s2", ["51", "52", "53"], "story_clusters"), ("c3", "s3", ["54", "55", "56"], "story_clusters"), ("c4", "https://anchor/gone", ["7"], "root_clusters")], "cluster_id string, source_url string, event_ids array<string>, table_name string")
     r = {(x.component_id, x.status, x.cluster_id, x.merged_into, x.is_new) for x in reconcile.reconcile(now, comps, mem).collect()}
     assert ("old", "active", "c1", None, False) in r and ("young", "merged", None, "old", False) in r and ("torn", "split", None, None, False) in r and ("gone", "active", "c4", None, False) in r
     assert len([x for x in r if x[4]]) == 2
@@ -136,6 +137,75 @@ def test_reconcile_growth_merge_split_and_new(spark):
     assert aged["old"] == ("active", 2) and aged["gone"] == ("stale", 3)
 
 
+def replayed(clusters, comps, member, s):
+    """One pass over all clusters that changes what the next one sees, as the operator's docstring states it."""
+    live = {c: x for c, x in comps.items() if x["status"] in ("active", "stale")}
+    active = {c: {e for k, e, a in member if k == c and a} for c in live}
+    out, split = set(), set()
+    for c in live:
+        over = [len(active[c] & x["events"]) for x in clusters if len(active[c] & x["events"])]
+        if sum(n >= s.split_overlap for n in over) >= 2 and max(over) / len(active[c]) < s.split_ratio:
+            split.add(c)
+            out.add((c, None, None, "split", None, False))
+    urls, seen, merged = {c: {x["anchor"], *x["urls"]} for c, x in live.items()}, {c: (x["first"], c) for c, x in live.items()}, set()
+    for x in sorted(clusters, key=lambda x: (x["table"] != "story_clusters", x["id"])):
+        match = {c for c in active if c not in split | merged and active[c] & x["events"]}
+        match = match or {c for c in urls if c not in split | merged and x["url"] in urls[c]}
+        if not match:
+            keep = "new-" + x["id"]
+            seen[keep], urls[keep] = ("9", keep), {x["url"], *x["urls"]}
+        else:
+            keep = min(match, key=seen.get)
+        out.add((keep, x["id"], x["table"], "active", None, not match))
+        active[keep] = x["events"]
+        for c in match - {keep}:
+            merged.add(c)
+            active.pop(c, None)
+            out.add((c, None, None, "merged", keep, False))
+    return out
+
+
+def test_reconcile_equals_one_pass_over_all_clusters(spark):
+    rng = random.Random(3)
+    comps = {f"k{i:02d}": {"status": rng.choice(["active", "active", "stale", "merged"]), "first": str(rng.randint(1, 5)), "anchor": f"u{rng.randint(0, 30)}", "urls": [f"u{rng.randint(0, 30)}"]} for i in range(40)}
+    member = [(f"k{rng.randint(0, 39):02d}", str(rng.randint(0, 150)), rng.random() < 0.8) for _ in range(260)]
+    events = list(range(150))
+    rng.shuffle(events)
+    clusters = []
+    while events:
+        n = rng.randint(1, 6)
+        clusters.append({"id": f"c{len(clusters):02d}", "table": rng.choice(["story_clusters", "root_clusters"]), "url": f"u{rng.randint(0, 60)}", "urls": [f"u{rng.randint(0, 60)}"], "events": {str(e) for e in events[:n]}})
+        events = events[n:]
+    comps["torn"] = {"status": "active", "first": "1", "anchor": "u99", "urls": []}
+    member += [("torn", f"t{i}", True) for i in range(6)]
+    clusters += [{"id": f"t{k}", "table": "story_clusters", "url": f"u{98 - k}", "urls": [], "events": {f"t{i}" for i in range(k, 6, 2)}} for k in (0, 1)]
+    c = spark.createDataFrame([(k, x["status"], x["first"], x["anchor"], x["urls"]) for k, x in comps.items()], "component_id string, status string, first_seen_at string, anchor_source_url string, component_source_urls array<string>").withColumn("first_seen_at", F.to_timestamp(F.concat(F.lit("2026-01-0"), "first_seen_at")))
+    m = spark.createDataFrame(member, "component_id string, event_id string, is_active boolean")
+    now = spark.createDataFrame([(x["id"], x["table"], x["url"], x["urls"], sorted(x["events"])) for x in clusters], "cluster_id string, table_name string, source_url string, urls array<string>, event_ids array<string>")
+    got = reconcile.reconcile(now.withColumn("computed_at", F.to_timestamp(F.lit("2026-01-09"))), c, m, new_id=lambda p: "new-" + p)
+    rows = [tuple(r) for r in got.collect()]
+    want = replayed(clusters, comps, member, DEFAULTS)
+    assert len(rows) == len(set(rows))
+    assert (set(rows) - want, want - set(rows)) == (set(), set())
+    assert {r[3] for r in rows} == {"active", "merged", "split"}
+
+
+def test_components_after_a_run(spark):
+    t = lambda x: F.lit(x).cast("timestamp")
+    c = spark.createDataFrame([("a", "active", "c0", "story_clusters", 1), ("b", "active", "c1", "story_clusters", 0), ("m", "active", "c9", "root_clusters", 0), ("x", "active", None, None, 2)], "component_id string, status string, current_cluster_id string, current_table string, missing_run_count int")
+    c = c.withColumns({"anchor_source_url": F.lit("u"), "component_source_urls": F.array(F.lit("u")), "first_seen_at": t("2026-01-01"), "last_seen_at": t("2026-01-01"), "merged_into": F.lit(None).cast("string"), "has_gkg": F.lit(False)})
+    touched = spark.createDataFrame([("a", "c1", "story_clusters", "active", None, False), ("b", "c1", "story_clusters", "active", None, False), ("m", None, None, "merged", "a", False), ("n", "c2", "root_clusters", "active", None, True)], "component_id string, cluster_id string, table_name string, status string, merged_into string, is_new boolean")
+    now = spark.createDataFrame([("c1", "v", ["v"], True), ("c2", "w", ["w"], False)], "cluster_id string, source_url string, urls array<string>, has_gkg boolean").withColumn("computed_at", t("2026-02-01"))
+    assert {tuple(r) for r in reconcile.outdated(touched, c).collect()} == {("story_clusters", "c0"), ("root_clusters", "c9")}
+    got = {r.component_id: r for r in reconcile.next_components(c, touched, now).collect()}
+    assert (got["a"].current_cluster_id, got["a"].missing_run_count, got["a"].has_gkg, got["a"].component_source_urls, str(got["a"].last_seen_at)[:10]) == ("c1", 0, True, ["v"], "2026-02-01")
+    assert (got["m"].status, got["m"].merged_into, got["m"].current_cluster_id) == ("merged", "a", None) and (got["x"].status, got["x"].missing_run_count) == ("stale", 3)
+    assert (got["n"].status, got["n"].anchor_source_url, str(got["n"].first_seen_at)[:10]) == ("active", "w", "2026-02-01")
+    broken = reconcile.dangling(reconcile.next_components(c, touched, now), now.select("cluster_id").filter("cluster_id = 'c1'"), now.select("cluster_id").limit(0))
+    healed = {r.component_id: (r.status, r.current_cluster_id) for r in reconcile.heal(reconcile.next_components(c, touched, now), broken).collect()}
+    assert healed["n"] == ("stale", None) and healed["a"] == ("active", "c1")
+
+
 def test_membership_history(spark):
     h = spark.createDataFrame([("c", "1", True), ("c", "2", True), ("d", "9", True)], "component_id string, event_id string, is_active boolean").withColumns({"first_seen_at": F.to_timestamp(F.lit("2026-01-01")), "last_seen_at": F.to_timestamp(F.lit("2026-01-01"))})
     now = spark.createDataFrame([("c", "2"), ("c", "3"), ("c", "3")], "component_id string, event_id string")
