@@ -114,6 +114,31 @@ def test_theme_cap_and_stop_themes(spark):
     assert len(set(roots(many, jaccard_threshold=0.1)[0].values())) == 10
 
 
+def test_pairs_are_compared_where_they_meet(spark, monkeypatch):
+    """Many clusters share a rare theme, few are similar: what is written stays in proportion to the clusters, whatever meets."""
+    rows, written = [], []
+    for k in range(400):
+        rows.append((f"c{k:03}", [], [f"group {k % 6}", f"own {k if k % 40 else k // 80}"], [], *D))
+    plain = merge.durable
+    monkeypatch.setattr(merge, "durable", lambda df: (written.append(df.count()), plain(df))[1])
+    got = {(r.a, r.b): r.jaccard for r in merge.theme_pairs(clusters(spark, *rows)).collect()}
+    sets = {r[0]: set(r[2]) for r in rows}
+    assert got == {(a, b): 1.0 for a in sets for b in sets if a < b and sets[a] == sets[b]}
+    assert max(written) <= 800 < 6 * 66 * 65 // 2
+
+
+@pytest.mark.parametrize("tile", [8_192, 7])
+def test_theme_pairs_in_split_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(merge, "TILE", tile, raising=True)
+    rng = random.Random(5)
+    rows = [(f"c{k:03}", [], rng.sample([f"t{min(int(rng.expovariate(0.12)), 40)}" for _ in range(12)], rng.randint(0, 9)) or None, [], *D) for k in range(160)]
+    got = {(r.a, r.b): r.jaccard for r in merge.theme_pairs(clusters(spark, *rows)).collect()}
+    sets = {r[0]: set(r[2] or ()) for r in rows}
+    df = {t: sum(t in s for s in sets.values()) for s in sets.values() for t in s}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and any(df[t] <= 32 for t in x & y) and len(x & y) / len(x | y) > 0.4}
+    assert got == want and len(want) > 50
+
+
 def test_fuse_weighted_tone_and_score(spark):
     kind = "cluster_id string, source_url string, topic_score double, event_count long, num_articles long, num_mentions long, num_sources long, event_ids array<string>, mention_identifiers array<string>, distinct_mention_sources array<string>, component_source_urls array<string>, component_domains array<string>, avg_severity_score double, document_tone_avg double, gkg_doc_count long, event_date_ref_start int, event_date_ref_end int, first_mention_at timestamp, last_mention_at timestamp, themes array<string>, persons array<string>, organizations array<string>, gkg_locations array<string>, dominant_event_types array<string>, dominant_quad_classes array<string>, dominant_countries array<string>, dominant_locations array<string>"
     row = lambda i, n, tone, docs, ids: (i, f"https://{i}.example/1", 1.0, n, 1, 1, 1, ids, [i], [i], [f"https://{i}.example/1"], [f"{i}.example"], 1.0, tone, docs, 20260305, 20260307, None, None, ["T"], [], [], [], [], [], [], [])
