@@ -139,6 +139,16 @@ def test_theme_pairs_in_split_tiles(spark, monkeypatch, tile):
     assert got == want and len(want) > 50
 
 
+def test_merge_writes_in_proportion(spark, monkeypatch):
+    """Clusters that share one address or theme each, of which few merge: neither the pairs of the addresses nor those of the themes are written."""
+    rows = [(f"c{k:03}", [f"common {k % 4}", f"own {k if k >= 8 else k + 200}"], [f"group {k % 6}", f"theme {k}"], [], *D) for k in range(400)]
+    written, plain = [], merge.durable
+    monkeypatch.setattr(merge, "durable", lambda df: (written.append(df.count()), plain(df))[1])
+    got, evidence = roots(clusters(spark, *rows))
+    assert {c: r for c, r in got.items() if c != r} == {f"c{k + 200}": f"c{k:03}" for k in range(8)} and evidence["c000"][0].mention_overlap == 2
+    assert max(written) <= 800
+
+
 def test_fuse_weighted_tone_and_score(spark):
     kind = "cluster_id string, source_url string, topic_score double, event_count long, num_articles long, num_mentions long, num_sources long, event_ids array<string>, mention_identifiers array<string>, distinct_mention_sources array<string>, component_source_urls array<string>, component_domains array<string>, avg_severity_score double, document_tone_avg double, gkg_doc_count long, event_date_ref_start int, event_date_ref_end int, first_mention_at timestamp, last_mention_at timestamp, themes array<string>, persons array<string>, organizations array<string>, gkg_locations array<string>, dominant_event_types array<string>, dominant_quad_classes array<string>, dominant_countries array<string>, dominant_locations array<string>"
     row = lambda i, n, tone, docs, ids: (i, f"https://{i}.example/1", 1.0, n, 1, 1, 1, ids, [i], [i], [f"https://{i}.example/1"], [f"{i}.example"], 1.0, tone, docs, 20260305, 20260307, None, None, ["T"], [], [], [], [], [], [], [])
