@@ -149,6 +149,15 @@ def test_merge_writes_in_proportion(spark, monkeypatch):
     assert max(written) <= 800
 
 
+@pytest.mark.parametrize("tile", [8_192, 7])
+def test_merge_evidence_in_split_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(merge, "TILE", tile, raising=True)
+    rows = [(f"c{k:02}", ["all", f"pair {k // 2}", None, "all"], None, ["X"], *D) for k in range(40)]
+    got, evidence = roots(clusters(spark, *rows))
+    assert got == {f"c{k:02}": f"c{k - k % 2:02}" for k in range(40)}
+    assert all([e.mention_overlap for e in evidence[f"c{k:02}"]] == [2] for k in range(40))
+
+
 def test_fuse_weighted_tone_and_score(spark):
     kind = "cluster_id string, source_url string, topic_score double, event_count long, num_articles long, num_mentions long, num_sources long, event_ids array<string>, mention_identifiers array<string>, distinct_mention_sources array<string>, component_source_urls array<string>, component_domains array<string>, avg_severity_score double, document_tone_avg double, gkg_doc_count long, event_date_ref_start int, event_date_ref_end int, first_mention_at timestamp, last_mention_at timestamp, themes array<string>, persons array<string>, organizations array<string>, gkg_locations array<string>, dominant_event_types array<string>, dominant_quad_classes array<string>, dominant_countries array<string>, dominant_locations array<string>"
     row = lambda i, n, tone, docs, ids: (i, f"https://{i}.example/1", 1.0, n, 1, 1, 1, ids, [i], [i], [f"https://{i}.example/1"], [f"{i}.example"], 1.0, tone, docs, 20260305, 20260307, None, None, ["T"], [], [], [], [], [], [], [])
