@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import durable, salted_join
+from ..runtime import durable, large_side, salted_join
 from ..settings import DEFAULTS, Settings
 from .graph import star_components
 
@@ -26,8 +26,8 @@ def payloads(clusters: DataFrame) -> DataFrame:
 def overlaps(current: DataFrame, memberships: DataFrame) -> DataFrame:
     """(cluster_id, component_id, overlap, historical_ratio, current_ratio) of clusters and components that share event ids: an equi-join on
     the exploded ids instead of a loop over all pairs."""
-    now = current.select("cluster_id", F.explode("event_ids").alias("event_id")).distinct()
-    past = memberships.select("component_id", "event_id").distinct()
+    now = large_side(current.select("cluster_id", F.explode("event_ids").alias("event_id")).distinct())
+    past = large_side(memberships.select("component_id", "event_id").distinct())
     n_now, n_past = now.groupBy("cluster_id").agg(F.count("*").alias("n_now")), past.groupBy("component_id").agg(F.count("*").alias("n_past"))
     o = now.join(past, "event_id").groupBy("cluster_id", "component_id").agg(F.count("*").alias("overlap"))
     o = o.join(n_now, "cluster_id").join(n_past, "component_id")
@@ -164,17 +164,17 @@ def reconcile(current: DataFrame, components: DataFrame, memberships: DataFrame,
     into it. One merged earlier in the run isn't revived. Without a match a component is made.
 
     Decisions never leave a group that is connected by shared events and addresses, so groups are decided independently, each by one
-    task; nothing comes to the driver. An empty table of clusters touches nothing but what is split, which then is nothing."""
+    task; nothing comes to the driver, and no table is broadcast. An empty table of clusters touches nothing but what is split, which then is nothing."""
     if "urls" not in current.columns:
         current = current.withColumn("urls", F.lit(None).cast("array<string>"))
     seen_at = F.coalesce("computed_at", F.current_timestamp()) if "computed_at" in current.columns else F.current_timestamp()
-    live = durable(components.filter(F.col("status").isin("active", "stale")))
+    live = large_side(durable(components.filter(F.col("status").isin("active", "stale"))))
     active = memberships.filter("is_active").join(live.select("component_id"), "component_id", "left_semi")
-    over = durable(overlaps(current, active))
+    over = large_side(durable(overlaps(current, active)))
     split = durable(split_flags(over, s).filter("is_split").select("component_id"))
     over = over.join(split, "component_id", "left_anti")
     none = F.array().cast("array<string>")
-    own = durable(current.select("cluster_id", "table_name", F.col("source_url").alias("url"), F.array_distinct(F.concat(F.coalesce("urls", none), F.array("source_url"))).alias("urls"), seen_at.alias("computed_at")))
+    own = large_side(durable(current.select("cluster_id", "table_name", F.col("source_url").alias("url"), F.array_distinct(F.concat(F.coalesce("urls", none), F.array("source_url"))).alias("urls"), seen_at.alias("computed_at"))))
     asked = own.select("url").filter("url is not null").distinct()
     held = live.join(split, "component_id", "left_anti").select("component_id", "first_seen_at", F.array_distinct(F.concat(F.array("anchor_source_url"), F.coalesce("component_source_urls", none))).alias("urls"))
     node = lambda kind, c: F.xxhash64(F.lit(kind), c)
@@ -182,9 +182,9 @@ def reconcile(current: DataFrame, components: DataFrame, memberships: DataFrame,
     offered = own.select("cluster_id", F.explode("urls").alias("url")).join(asked, "url", "left_semi")
     edges = over.select(node("p", "cluster_id").alias("u"), node("c", "component_id").alias("v"))
     edges = edges.union(by_url.select(node("u", "url"), node("c", "component_id"))).union(offered.select(node("p", "cluster_id"), node("u", "url")))
-    groups = durable(star_components(durable(edges), "u", "v"))
+    groups = large_side(durable(star_components(durable(edges), "u", "v")))
     matches = over.groupBy("cluster_id").agg(F.collect_set("component_id").alias("matches"))
-    met = by_url.select("component_id").union(over.select("component_id")).distinct()
+    met = large_side(by_url.select("component_id").union(over.select("component_id")).distinct())
     first = held.join(met, "component_id", "left_semi").select(F.lit(0).alias("phase"), F.lit("").alias("rank"), F.col("component_id").alias("id"), "first_seen_at", "urls", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("array<string>").alias("matches"), node("c", "component_id").alias("node"))
     rank = F.when(F.col("table_name") == "story_clusters", "0").otherwise("1")
     then = own.join(matches, "cluster_id", "left").select(F.lit(1), rank, "cluster_id", "computed_at", "urls", "url", "table_name", "matches", node("p", "cluster_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyloom.operators import clusters as cl
 from storyloom.operators import graph, merge, reconcile, store
 from storyloom.plans import pipeline
+from storyloom.runtime import durable
 from storyloom.settings import DEFAULTS
 
 EVENT = "global_event_id long, sql_date int, date_added long, event_root_code string, quad_class int, goldstein_scale double, avg_tone double, num_mentions int, num_sources int, num_articles int, action_geo_full_name string, action_geo_country_code string, source_url string"
@@ -234,6 +235,24 @@ def test_reconcile_equals_one_pass_over_all_clusters(spark):
     assert {r[3] for r in rows} == {"active", "merged", "split"}
 
 
+def test_reconcile_broadcasts_no_table(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    for module in (reconcile, graph):
+        monkeypatch.setattr(module, "durable", kept)
+    current = spark.createDataFrame([("p1", "story_clusters", "https://a/1", ["1", "2"]), ("p2", "story_clusters", "https://b/1", ["9"])], "cluster_id string, table_name string, source_url string, event_ids array<string>")
+    components = spark.createDataFrame([("c1", "active", "https://a/0", ["https://b/1"]), ("c2", "active", "https://c/1", None)], "component_id string, status string, anchor_source_url string, component_source_urls array<string>").withColumn("first_seen_at", F.lit("2026-02-01").cast("timestamp"))
+    memberships = spark.createDataFrame([("c1", "1", True), ("c2", "2", True)], "component_id string, event_id string, is_active boolean")
+    out = reconcile.reconcile(current, components, memberships)
+    assert {(r.component_id, r.status) for r in out.collect()} >= {("c1", "active"), ("c2", "merged")}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_components_after_a_run(spark):
     t = lambda x: F.lit(x).cast("timestamp")
     c = spark.createDataFrame([("a", "active", "c0", "story_clusters", 1), ("b", "active", "c1", "story_clusters", 0), ("m", "active", "c9", "root_clusters", 0), ("x", "active", None, None, 2)], "component_id string, status string, current_cluster_id string, current_table string, missing_run_count int")
