@@ -159,6 +159,13 @@ def test_merge_evidence_in_split_tiles(spark, monkeypatch, tile):
     assert all([e.mention_overlap for e in evidence[f"c{k:02}"]] == [2] for k in range(40))
 
 
+def test_merge_broadcasts_neither_clusters_nor_groups(spark):
+    c = clusters(spark, ("a", ["u"], ["1"], [], *D), ("b", ["u", "v"], ["1"], [], *D), ("c", ["v"], ["2"], [], *D))
+    out = merge.merge_roots(c, replace(DEFAULTS, mention_overlap_min=1))
+    assert {r.root for r in out.collect()} == {"a"}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuse_weighted_tone_and_score(spark):
     kind = "cluster_id string, source_url string, topic_score double, event_count long, num_articles long, num_mentions long, num_sources long, event_ids array<string>, mention_identifiers array<string>, distinct_mention_sources array<string>, component_source_urls array<string>, component_domains array<string>, avg_severity_score double, document_tone_avg double, gkg_doc_count long, event_date_ref_start int, event_date_ref_end int, first_mention_at timestamp, last_mention_at timestamp, themes array<string>, persons array<string>, organizations array<string>, gkg_locations array<string>, dominant_event_types array<string>, dominant_quad_classes array<string>, dominant_countries array<string>, dominant_locations array<string>"
     row = lambda i, n, tone, docs, ids: (i, f"https://{i}.example/1", 1.0, n, 1, 1, 1, ids, [i], [i], [f"https://{i}.example/1"], [f"{i}.example"], 1.0, tone, docs, 20260305, 20260307, None, None, ["T"], [], [], [], [], [], [], [])
