@@ -303,3 +303,23 @@ def test_latest_row(spark, empty):
     log = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "at int, what string")
     got = store.latest(log.limit(0) if empty else log, "at").collect()
     assert [tuple(r) for r in got] == ([] if empty else [(3, "y")])
+
+
+def test_only_hubs_are_salted(spark, monkeypatch):
+    from storyloom import runtime
+
+    many = spark.createDataFrame([(1, k) for k in range(300)] + [(k, k) for k in range(2, 40)], "u long, x long")
+    few = spark.createDataFrame([(k, 10 * k) for k in range(30)], "u long, m long")
+    want = sorted((u, x, 10 * u) for u, x in [(1, k) for k in range(300)] + [(k, k) for k in range(2, 30)])
+    hot = many.groupBy("u").count().filter("count > 100").select("u")
+    for keys in (hot, hot.limit(0)):
+        assert sorted(map(tuple, runtime.spread_join(many, few, "u", keys).collect())) == want
+    plan = lambda keys: runtime.spread_join(many, few, "u", keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan(hot) and "Generate" not in plan(hot.limit(0))
+    links = [(1, k) for k in range(2, 60)] + [(k, k + 1) for k in range(100, 140)] + [(59, 500), (500, 501)]
+    edges = spark.createDataFrame(links, "u long, v long").repartition(7)
+    found = []
+    for most in (graph.HOT, 3):
+        monkeypatch.setattr(graph, "HOT", most)
+        found.append(sorted(map(tuple, graph.star_components(edges, "u", "v").collect())))
+    assert found[0] == found[1] == sorted([(k, 1) for k in [*range(1, 60), 500, 501]] + [(k, 100) for k in range(100, 141)])
